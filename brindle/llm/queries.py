@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, langid, media, quality, toxicity, url_filter
-from ._session import table
+from . import bpe, langid, media, minhash, mixing, quality, secret_scan, toxicity, url_filter
+from ._session import cut, table
 
 VOCABULARY = "byte_bpe_50k.json"
 
@@ -19,6 +20,10 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op3_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"), shingle=4)
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     model = toxicity.fit(docs, labels.filter(langid.fold() != 1))
@@ -26,6 +31,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (langid.fold() == 1).alias("held_out"), "score", "predicted")
 
 
+def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.report(table(spark, sf_dir, "documents"), secret_scan.fit(spark))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -36,9 +45,29 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", (langid.fold() == 1).alias("held_out"), "lang_pred", "score", "rejected")
 
 
+def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sized = cut(docs.select("doc_id", "source", mixing.n_words(F.col("text")).alias("size")))
+    mixed = mixing.mix(sized, F.array("source"), F.col("size"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_quality_rules, op4_toxicity, op7_media_columns, op8_language_id, op10_bpe)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filters,
+        op2_quality_rules,
+        op3_minhash_near_dedup,
+        op4_toxicity,
+        op5_secret_scans,
+        op7_media_columns,
+        op8_language_id,
+        op9_source_mixing,
+        op10_bpe,
+    )
+}
 ORACLES: dict[str, str] = {}
