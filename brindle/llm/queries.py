@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, media, minhash, mixing, quality, secret_scan, toxicity, url_filter
+from . import bpe, langid, media, minhash, mixing, quality, secret_scan, suffix_dedup, toxicity, url_filter
 from ._session import cut, table
 
 VOCABULARY = "byte_bpe_50k.json"
@@ -35,6 +35,10 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.report(table(spark, sf_dir, "documents"), secret_scan.fit(spark))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
 def op7_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.digest(table(spark, sf_dir, "documents"))
 
@@ -64,6 +68,7 @@ QUERIES = {
         op3_minhash_near_dedup,
         op4_toxicity,
         op5_secret_scans,
+        op6_suffix_dedup,
         op7_media_columns,
         op8_language_id,
         op9_source_mixing,
