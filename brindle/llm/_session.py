@@ -3,7 +3,14 @@
 from __future__ import annotations
 
 import atexit
+import hashlib
+import shutil
+import tempfile
 import uuid
+import zipfile
+from collections.abc import Callable
+from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +20,38 @@ BROADCAST_IDS = 1_000_000
 _written: list[tuple[object, object]] = []
 
 
+_shipped: set[tuple[str, str]] = set()
+
+
+@lru_cache(1)
+def _folder() -> str:
+    folder = tempfile.mkdtemp(prefix="brindle-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors' Python, once for each application."""
+    top = Path(__file__).resolve().parents[1]
+    files = sorted(p for p in top.rglob("*.py"))
+    mark = hashlib.sha256(b"".join(p.read_bytes() for p in files)).hexdigest()[:12]
+    if (spark.sparkContext.applicationId, mark) in _shipped:
+        return
+    # the driver's own folder: it serves the file from there, and executors keep copies
+    path = f"{_folder()}/{top.name}-{mark}.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in files:
+            z.write(p, p.relative_to(top.parent))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add((spark.sparkContext.applicationId, mark))
+
+
+def arrow(df: DataFrame, function: Callable, schema) -> DataFrame:
+    """mapInArrow, with this package on the executors."""
+    ship(df.sparkSession)
+    return df.mapInArrow(function, schema)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -22,6 +22,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._session import arrow
+
 #: Parts up to which a word's ranks are scanned.
 SCAN_LIMIT = 96
 #: Words whose encoding a worker keeps, twice at most: when the young words reach this
@@ -175,7 +177,7 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, ids array<int>")
+    return arrow(docs.select(id_col, text_col), run, f"{id_col} long, ids array<int>")
 
 
 def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -193,4 +195,4 @@ def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
                 of_text.append(hashlib.sha256(own.text(ids).encode()).hexdigest())
             yield pa.record_batch([batch.column(0), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return arrow(docs.select(id_col, text_col), run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -22,6 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._session import arrow
 from ._text import LOWER, chunks, utf8
 
 DIM = 4096
@@ -99,7 +100,7 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
                 df[DIM] += 1
         yield pa.record_batch([pa.array(np.arange(DIM + 1)), pa.array(df)], names=["gram", "n"])
 
-    rows = docs.select(text_col).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
+    rows = arrow(docs.select(text_col), run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
     df = np.zeros(DIM + 1, np.int64)
     for gram, n in rows:
         df[gram] = n
@@ -128,7 +129,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", clu
                 rows = vectors(texts[lo : lo + 256], idf).astype(np.float16)
                 yield pa.record_batch([pa.array(langs[lo : lo + 256], pa.string()), pa.array([r.tobytes() for r in rows], pa.binary())], names=["lang", "vector"])
 
-    got = sorted((r[0], bytes(r[1])) for r in sample.mapInArrow(run, "lang string, vector binary").collect())
+    got = sorted((r[0], bytes(r[1])) for r in arrow(sample, run, "lang string, vector binary").collect())
     langs: list[str] = []
     centroids = []
     for lang in sorted(sizes):
@@ -157,7 +158,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                             lang[i - lo] = name
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(lang), pa.array(score), pa.array(score < reject_below)], names=[id_col, "lang_pred", "score", "rejected"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, lang_pred string, score double, rejected boolean")
+    return arrow(docs.select(id_col, text_col), run, f"{id_col} long, lang_pred string, score double, rejected boolean")
 
 
 def fold(id_col: str = "doc_id") -> Column:

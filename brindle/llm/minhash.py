@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._graph import components
-from ._session import by_ids, cut
+from ._session import arrow, by_ids, cut
 from ._text import chunks, mix, shingle_sets, utf8
 
 SKETCH = 32
@@ -62,7 +62,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, shingle: int, k: int)
                     low.append((found[:k] >> np.uint64(1)).view(np.int64))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(low, pa.list_(pa.int64()))], names=["id", "n", "a", "b", "sketch"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, n long, a long, b long, sketch array<long>")
+    return arrow(docs.select(id_col, text_col), run, "id long, n long, a long, b long, sketch array<long>")
 
 
 def full_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> DataFrame:
@@ -75,7 +75,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, shingle: int) -> Data
                 found = [s.view(np.int64) for s in shingle_sets(texts[lo:hi], shingle)]
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(found, pa.list_(pa.int64()))], names=["id", "set"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, "id long, set array<long>")
+    return arrow(docs.select(id_col, text_col), run, "id long, set array<long>")
 
 
 def _keys(classes: DataFrame, k: int, num: int, den: int) -> DataFrame:

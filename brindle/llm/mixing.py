@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._session import cut
+from ._session import cut, ship
 
 #: Documents that a bucket should hold, and buckets of a level at most.
 BUCKET, BUCKETS = 256, 1024
@@ -167,6 +167,7 @@ def mix(docs: DataFrame, memberships: Column, size: Column, id_col: str = "doc_i
         two = min(BUCKETS, max(1, r["n"] // one // BUCKET))
         plan.append((r["_pattern"], sizes[first] if p else 0, float(aim[first]) if p else 0.0, whole, rest, one, two))
     spark = docs.sparkSession
+    ship(spark)
     table = spark.createDataFrame(plan, "_pattern string, source_size long, target double, _whole long, _rest long, _one long, _two long")
     few = len(plan) <= BROADCAST_PATTERNS
     small = lambda df: F.broadcast(df) if few else df

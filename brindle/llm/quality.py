@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from ._session import arrow
 from ._text import LEAD, SPACE, Words, chunks, mix, utf8, windows
 
 WINDOW = 8
@@ -170,7 +171,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
                 kept[cascade(base, np.flatnonzero(~failed), ordered)] = True
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), *(pa.array(getattr(base, n).astype(np.int64)) for n in names), pa.array(failed), pa.array(kept)], names=[id_col, *names, "base_failed", "kept"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean")
+    return arrow(docs.select(id_col, text_col), run, f"{id_col} long, " + ", ".join(f"{n} long" for n in names) + ", base_failed boolean, kept boolean")
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] = RULES, sample_rows: int = 400) -> DataFrame:
@@ -188,4 +189,4 @@ def keep_good(docs: DataFrame, text_col: str = "text", rules: tuple[Rule, ...] =
                 rows = cascade(base, np.flatnonzero(~base.failed()), ordered)
                 yield batch.take(pa.array(rows + lo))
 
-    return docs.mapInArrow(run, docs.schema)
+    return arrow(docs, run, docs.schema)

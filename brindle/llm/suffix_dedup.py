@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import cut
+from ._session import arrow, cut
 from ._text import mix, utf8
 
 LENGTH, GRAM = 400, 200
@@ -304,7 +304,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     texts = rows.filter(F.col("n") >= LENGTH).groupBy("sig").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"))
     long_docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter(F.octet_length("text") >= LENGTH)
     marked = long_docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("sig"), "text")
-    places = cut(marked.mapInArrow(_anchor_rows, "h long, sig binary, pos long"))
+    places = cut(arrow(marked, _anchor_rows, "h long, sig binary, pos long"))
     where = F.struct("sig", "pos")
     shared = places.groupBy("h").agg(F.min(where).alias("x"), F.max(where).alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y").select("h", (F.col("c") > HOT).alias("hot"))
     wanted = places.join(shared, "h").groupBy("sig").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("places"))
@@ -312,18 +312,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     found = wanted.join(long_docs, F.col("rep").eqNullSafe(F.col("id")) & (F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("sig")))
     # repeated ids may bring a text more than once; spans are merged in the end
     held = cut(found.select("sig", "text", "places"))
-    stretches = cut(held.mapInArrow(_stretch_rows, "h long, hot boolean, sig binary, lo long, part binary"))
+    stretches = cut(arrow(held, _stretch_rows, "h long, hot boolean, sig binary, lo long, part binary"))
     gathered = stretches.filter("NOT hot").select("h", "sig", "lo", "part").repartition("h").sortWithinPartitions("h")
-    spans = gathered.mapInArrow(_settle_rows, "sig binary, a long, b long")
+    spans = arrow(gathered, _settle_rows, "sig binary, a long, b long")
     hot = stretches.filter("hot").select("sig", "lo", "part")
     if not hot.isEmpty():
-        windows = hot.mapInArrow(_window_rows, "w long, sig binary, a long")
+        windows = arrow(hot, _window_rows, "w long, sig binary, a long")
         who = F.struct("sig", "a")
         twice = windows.groupBy("w").agg(F.min(who).alias("x"), F.max(who).alias("y")).filter("x <> y").select("w")
         spans = spans.union(windows.join(twice, "w").select("sig", "a", (F.col("a") + LENGTH).alias("b")).distinct())
     by_text = spans.groupBy("sig").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     one = held.dropDuplicates(["sig"]).select("sig", "text")
-    results = one.join(by_text, "sig").select("sig", "text", "spans").mapInArrow(_remove_rows, "sig binary, n_removed long, n_spans long, kept string")
+    results = arrow(one.join(by_text, "sig").select("sig", "text", "spans"), _remove_rows, "sig binary, n_removed long, n_spans long, kept string")
     whole = F.col("copies") > 1
     out = rows.join(texts.select("sig", "copies").join(results, "sig", "left"), "sig", "left")
     empty = hashlib.sha256(b"").hexdigest()

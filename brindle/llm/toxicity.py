@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._session import arrow
 from ._text import chunks, utf8
 
 BITS = 18
@@ -160,7 +161,7 @@ def sample_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
             found = [bag(lowered(t)) for t in utf8(batch.column(2))]
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array([a.tobytes() for a, _ in found], pa.binary()), pa.array([n.tobytes() for _, n in found], pa.binary())], names=["id", "label", "ids", "n"])
 
-    got = sorted((r[0] if r[0] is not None else -1, r[1], bytes(r[2]), bytes(r[3])) for r in joined.mapInArrow(run, "id long, label int, ids binary, n binary").collect())
+    got = sorted((r[0] if r[0] is not None else -1, r[1], bytes(r[2]), bytes(r[3])) for r in arrow(joined, run, "id long, label int, ids binary, n binary").collect())
     return [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], np.array([r[1] for r in got], np.int64)
 
 
@@ -180,4 +181,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 prob = 1 / (1 + np.exp(-logits))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(prob), pa.array((prob >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, f"{id_col} long, score double, predicted int")
+    return arrow(docs.select(id_col, text_col), run, f"{id_col} long, score double, predicted int")
