@@ -1,0 +1 @@
+"""Scalar functions of the query dialect, as Column expressions."""

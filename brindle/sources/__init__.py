@@ -1,0 +1 @@
+"""Buckets, the change log and backups."""
