@@ -141,7 +141,7 @@ def _fill(group: pd.DataFrame) -> pd.DataFrame:
 
 
 def mix(docs: DataFrame, memberships: Column, size: Column, id_col: str = "doc_id", weights: Sequence[int] = (1, 2, 3), repeats: int = 3, seed: int = 17) -> DataFrame:
-    """``docs`` with source_size and target (of the first source a document belongs to, in
+    """``docs`` with source_size and target, in place of columns so called (of the first source a document belongs to, in
     order) and taken, the words that the mix takes of it: a multiple of its size.
 
     ``memberships`` is an array of sources, ``size`` a number of words.  ``docs`` is read
@@ -149,7 +149,8 @@ def mix(docs: DataFrame, memberships: Column, size: Column, id_col: str = "doc_i
     """
     key = F.to_json(F.array_sort(F.array_distinct(memberships)), {"ignoreNullFields": "false"})
     u = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col)), 11) / float(1 << 53)
-    marked = docs.select("*", F.array_sort(F.array_distinct(memberships)).alias("_sources"), key.alias("_pattern"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), u.alias("_u"))
+    # the rows go along as one struct, so that no name of theirs meets one of ours
+    marked = docs.select(F.struct("*").alias("_row"), F.col(id_col).alias("_id"), F.array_sort(F.array_distinct(memberships)).alias("_sources"), key.alias("_pattern"), F.coalesce(size, F.lit(0)).cast("long").alias("_size"), u.alias("_u"))
     rows = marked.groupBy("_pattern", "_sources").agg(F.sum("_size").alias("words"), F.count(F.lit(1)).alias("n")).collect()
     words = {tuple(r["_sources"]): r["words"] for r in rows}
     sizes: dict[str | None, int] = defaultdict(int)
@@ -183,20 +184,22 @@ def mix(docs: DataFrame, memberships: Column, size: Column, id_col: str = "doc_i
     fine = fine.withColumn("_upto", F.sum("_sum").over(order))
     cut2 = fine.filter("_upto - _sum <= _left AND _left < _upto").groupBy("_pattern").agg(F.min(F.struct("_b1", "_b2", F.expr("_left - (_upto - _sum)").alias("need"))).alias("c"))
     edge = cut(cut2.select("_pattern", F.col("c._b1").alias("_e1"), F.col("c._b2").alias("_e2"), F.col("c.need").alias("_need")))
-    brink = placed.join(small(edge), "_pattern").filter("_b1 = _e1 AND _b2 = _e2").groupBy("_pattern", F.col(id_col).alias("_id"), "_u", "_size", "_need").agg(F.sum("_size").alias("_sum"))
+    brink = placed.join(small(edge), "_pattern").filter("_b1 = _e1 AND _b2 = _e2").groupBy("_pattern", "_id", "_u", "_size", "_need").agg(F.sum("_size").alias("_sum"))
     chosen = cut(brink.groupBy("_pattern").applyInPandas(_fill, "_pattern string, _id long, _u double, _size long"))
     chosen = chosen.select(F.col("_pattern").alias("_cp"), F.col("_id").alias("_cid"), F.col("_size").alias("_cs"), F.lit(True).alias("_chosen"))
 
     placed = placed.join(small(edge), "_pattern", "left")
-    placed = placed.join(small(chosen), (F.col("_pattern") == F.col("_cp")) & F.col(id_col).eqNullSafe(F.col("_cid")) & (F.col("_size") == F.col("_cs")), "left")
+    placed = placed.join(small(chosen), (F.col("_pattern") == F.col("_cp")) & F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_size") == F.col("_cs")), "left")
     before = F.coalesce(F.struct("_b1", "_b2") < F.struct("_e1", "_e2"), F.lit(False))
     once = F.when(before | F.coalesce("_chosen", F.lit(False)), 1).otherwise(0)
-    return placed.select(*docs.columns, "source_size", "target", (F.col("_size") * (F.col("_whole") + once)).alias("taken"))
+    own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("source_size", "target", "taken")]
+    return placed.select(*own, "source_size", "target", (F.col("_size") * (F.col("_whole") + once)).alias("taken"))
 
 
 def repeat_taken(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """The mix itself: each document as many times as its sources' targets take it."""
-    sized = docs.withColumn("_words", n_words(F.col(text_col)))
-    mixed = mix(sized, F.array(source_col), F.col("_words"), id_col)
-    times = F.when(F.col("_words") > 0, F.col("taken") / F.col("_words")).otherwise(0).cast("int")
-    return mixed.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times)).alias("_use")).select(*docs.columns)
+    # the rows as one struct: their names may be any
+    sized = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("words"))
+    mixed = mix(sized, F.array("source"), F.col("words"), "id")
+    times = F.when(F.col("words") > 0, F.col("taken") / F.col("words")).otherwise(0).cast("int")
+    return mixed.select("row", F.explode(F.array_repeat(F.lit(1), times)).alias("use")).select("row.*")

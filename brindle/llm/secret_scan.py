@@ -176,15 +176,15 @@ def fit(spark: SparkSession, findings: Sequence[tuple[str, str, str, int]] | Non
 
 
 def scan(docs: DataFrame, forest: Sequence[Tree], text_col: str = "text", path_col: str | None = None, threshold: float = 0.5) -> DataFrame:
-    """``docs`` with ``_candidates`` (distinct candidates) and ``_secrets``, those that the
-    forest holds for real, as values without their names."""
-    text, path = F.col(text_col), F.col(path_col) if path_col else None
-    found = docs.withColumn("_candidates", F.array_distinct(F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))))
-    described = F.transform("_candidates", lambda c: F.struct(value_of(c).alias("value"), *(v.alias(n) for n, v in features(c, text, path).items())))
-    some = F.when(F.size("_candidates") > 0, described)
-    judged = found.withColumn("_described", some)
-    real = F.transform(F.filter("_described", lambda d: forest_column(forest, d) >= threshold), lambda d: d["value"])
-    return judged.withColumn("_secrets", F.coalesce(F.array_distinct(real), F.array().cast("array<string>"))).drop("_described")
+    """Rows of ``docs`` as a struct ``row``, their ``candidates`` (distinct ones) and ``secrets``,
+    those that the forest holds for real, as values without their names."""
+    path = F.col("path") if path_col else None
+    rows = docs.select(F.struct("*").alias("row"), F.col(text_col).alias("text"), F.col(path_col).alias("path") if path_col else F.lit(None).cast("string").alias("path"))
+    found = rows.withColumn("candidates", F.array_distinct(F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))))
+    described = F.transform("candidates", lambda c: F.struct(value_of(c).alias("value"), *(v.alias(n) for n, v in features(c, F.col("text"), path).items())))
+    judged = found.withColumn("described", F.when(F.size("candidates") > 0, described))
+    real = F.transform(F.filter("described", lambda d: forest_column(forest, d) >= threshold), lambda d: d["value"])
+    return judged.select("row", "text", "candidates", F.coalesce(F.array_distinct(real), F.array().cast("array<string>")).alias("secrets"))
 
 
 def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
@@ -195,13 +195,16 @@ def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
 
 def redact(docs: DataFrame, forest: Sequence[Tree], text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """``docs`` with every secret replaced; its columns stay, ``length_col`` follows the text."""
-    out = scan(docs, forest, text_col).withColumn(text_col, redacted(F.col(text_col), F.col("_secrets")))
+    out = scan(docs, forest, text_col).withColumn("text", redacted(F.col("text"), F.col("secrets")))
+    own = {c: F.col("row").getField(c) for c in docs.columns} | {text_col: F.col("text")}
     if length_col in docs.columns:
-        out = out.withColumn(length_col, F.when(F.size("_secrets") > 0, F.length(text_col)).otherwise(F.col(length_col)).cast(docs.schema[length_col].dataType))
-    return out.select(*docs.columns)
+        own[length_col] = F.when(F.size("secrets") > 0, F.length("text")).otherwise(own[length_col]).cast(docs.schema[length_col].dataType)
+    return out.select(*(own[c].alias(c) for c in docs.columns))
 
 
 def report(docs: DataFrame, forest: Sequence[Tree], id_col: str = "doc_id", text_col: str = "text", path_col: str | None = None) -> DataFrame:
     """Counts of candidates and secrets, and SHA-256 of the redacted text, of every document."""
     found = scan(docs.select(id_col, text_col, *([path_col] if path_col else [])), forest, text_col, path_col)
-    return found.select(id_col, F.coalesce(F.when(F.col("_candidates").isNotNull(), F.size("_candidates")), F.lit(0)).cast("long").alias("n_candidates"), F.size("_secrets").cast("long").alias("n_secrets"), F.sha2(F.coalesce(redacted(F.col(text_col), F.col("_secrets")), F.lit("")).cast("binary"), 256).alias("redacted_sha256"))
+    n = F.coalesce(F.when(F.col("candidates").isNotNull(), F.size("candidates")), F.lit(0))
+    after = F.coalesce(redacted(F.col("text"), F.col("secrets")), F.lit("")).cast("binary")
+    return found.select(F.col("row").getField(id_col).alias(id_col), n.cast("long").alias("n_candidates"), F.size("secrets").cast("long").alias("n_secrets"), F.sha2(after, 256).alias("redacted_sha256"))
