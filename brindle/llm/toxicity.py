@@ -1,7 +1,8 @@
 """Toxicity from subword-bag embeddings.
 
 A text is a bag of character n-grams (3 to 5 bytes of the lower-cased text, within words
-and with word ends as a mark), hashed into rows of an embedding table; the average goes
+and with word ends as a mark), hashed into rows of an embedding table; the average, weighted
+by rarity, goes
 through a linear softmax of two classes.  Table and softmax are trained jointly by Adam
 in numpy, on the driver, on a bounded sample of labelled rows.  As averaging is linear,
 each trained row comes down to one number, and an unseen misspelling shares the numbers
@@ -29,9 +30,12 @@ BITS = 18
 BUCKETS = 1 << BITS
 LENGTHS = (3, 4, 5)
 #: Averages are small, a few words of hundreds; this keeps gradients in range.
-SCALE = 16.0
+SCALE = 64.0
+#: An n-gram weighs RARE / (RARE + its share of all n-grams), so that frequent ones count little.
+RARE = 1e-4
+TOXIC = 0.35
 #: Share of its own second moment in a parameter's step, the rest being its array's mean.
-OWN = 0.2
+OWN = 0.1
 
 #: 0 for what is no letter; bytes beyond ASCII count as letters.
 _LETTER = np.zeros(256, np.uint32)
@@ -98,9 +102,13 @@ class _Rows:
         self.shape = shape
         self.way = []
         for a, b in ((row, col), (col, row)):
-            order = np.argsort(a, kind="stable")
-            present, start = np.unique(a[order], return_index=True)
-            self.way.append((present, start, b[order], value[order]))
+            if len(a) and (a[1:] < a[:-1]).any():
+                order = np.argsort(a, kind="stable")
+                a, b, v = a[order], b[order], value[order]
+            else:
+                v = value
+            start = np.flatnonzero(np.concatenate(([True], a[1:] != a[:-1]))) if len(a) else np.empty(0, np.int64)
+            self.way.append((a[start], start, b, v))
 
     def dot(self, x: np.ndarray, back: bool = False) -> np.ndarray:
         present, start, other, value = self.way[back]
@@ -111,7 +119,7 @@ class _Rows:
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: int = 4, epochs: int = 60, rate: float = 0.05, min_rows: int = 5, seed: int = 17) -> Model:
-    """Fit table and softmax together; classes weigh alike.  Full batches, so the result
+    """Fit table and softmax together; the toxic class has TOXIC of the weight.  Full batches, so the result
     depends on the rows alone."""
     rng = np.random.default_rng(seed)
     labels = np.append(labels, 0).astype(np.int64)  # the empty text counts as clean
@@ -119,12 +127,15 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
     row = np.repeat(every[:-1], [len(ids) for ids, _ in bags]).astype(np.int32)
     col = np.concatenate([ids for ids, _ in bags]) if bags else np.empty(0, np.int32)
     value = np.concatenate([n / max(1.0, n.sum()) for _, n in bags]).astype(np.float32) if bags else np.empty(0, np.float32)
+    share = np.bincount(col, np.concatenate([n for _, n in bags]) if bags else None, BUCKETS)
+    weigh = (RARE / (RARE + share / max(1.0, share.sum()))).astype(np.float32)
+    value *= weigh[col]
     # buckets of very few rows only serve to learn those rows by heart
     common = np.bincount(col, minlength=BUCKETS)[col] >= min_rows
     used, col = np.unique(col[common], return_inverse=True)
     texts = _Rows(row[common], col.astype(np.int32), value[common], (len(labels), len(used)))
     params = [rng.normal(0, 0.1, (len(used), dim)).astype(np.float32), rng.normal(0, 0.1, (dim, 2)).astype(np.float32), np.zeros(2, np.float32)]
-    weight = np.where(labels == 1, 0.5 / max(1, (labels == 1).sum()), 0.5 / max(1, (labels == 0).sum())).astype(np.float32)
+    weight = np.where(labels == 1, TOXIC / max(1, (labels == 1).sum()), (1 - TOXIC) / max(1, (labels == 0).sum())).astype(np.float32)
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
     for step in range(1, epochs + 1):
         mean = texts.dot(params[0]) * SCALE
@@ -142,7 +153,7 @@ def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, dim: in
             spread = OWN * v + (1 - OWN) * (v.mean() if v.size else 0)
             p -= rate * (m / (1 - 0.9**step)) / (np.sqrt(spread / (1 - 0.99**step)) + 1e-8)
     out = np.zeros(BUCKETS, np.float32)
-    out[used] = SCALE * (params[0] @ (params[1][:, 1] - params[1][:, 0]))
+    out[used] = SCALE * weigh[used] * (params[0] @ (params[1][:, 1] - params[1][:, 0]))
     return Model(out, float(params[2][1] - params[2][0]))
 
 
@@ -165,7 +176,7 @@ def sample_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], np.array([r[1] for r in got], np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = (2400, 900), seed: int = 17) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = (3000, 1200), seed: int = 17) -> Model:
     """``per_class`` bounds the clean and the toxic labelled documents that are learned from."""
     return train(*sample_bags(docs, labels, id_col, text_col, label_col, per_class, seed))
 

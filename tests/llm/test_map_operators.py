@@ -93,11 +93,11 @@ def test_toxic_words_and_unseen_misspellings(spark, odd, nothing):
     rng = random.Random(3)
     plain = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
     bad = ["idiot", "scumbag", "worthless"]
-    docs = [(i, " ".join(rng.choice(bad) if i % 2 and rng.random() < 0.05 else rng.choice(plain) for _ in range(120))) for i in range(400)]
+    docs = [(i, " ".join(rng.choice(bad) if i % 2 and rng.random() < 0.05 else rng.choice(plain) for _ in range(120))) for i in range(1500)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
     labels = df.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
-    model = toxicity.fit(df, labels.filter("doc_id < 300"))
-    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df.filter("doc_id >= 300"), model).collect()}
+    model = toxicity.fit(df, labels.filter("doc_id < 1200"))
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(df.filter("doc_id >= 1200"), model).collect()}
     assert np.mean([got[i] == i % 2 for i in got]) > 0.95
     text = " ".join(plain[:50])
     with_, without = model.logits([f"{text} idiott scumbags".encode(), text.encode()])
