@@ -82,7 +82,10 @@ class Engine:
                 raise NotFound(f"prepared statement {statement.name}")
             used = S.constant(statement.using) if statement.using is not None else None
             statement, params = self._prepared[statement.name][1], used if used is not None else params
-        return self._run(S.bind(statement, _named(params)))
+        out = self._run(S.bind(statement, _named(params)))
+        if isinstance(statement, S.CreateIndex) and not statement.primary:
+            self.catalog.indexes[statement.source.bucket, statement.name].statement = text
+        return out
 
     def _run(self, s: Any) -> Result:
         if isinstance(s, S.Select):
@@ -236,6 +239,18 @@ class Engine:
     def indexes(self) -> DataFrame:
         return self.spark.createDataFrame([(d.bucket, d.name, d.state, d.to_json()) for d in self.catalog.indexes.values()], "bucket string, name string, state string, definition string")
 
+    def save_indexes(self, path: str) -> None:
+        """Keep the definitions as JSON lines; data is built again from them."""
+        self.indexes().coalesce(1).write.mode("overwrite").json(path)
+
+    def load_indexes(self, path: str) -> int:
+        """Build the indexes kept at ``path`` whose buckets are here; returns how many."""
+        kept = self.spark.read.schema("bucket string, name string, state string, definition string").json(path).collect()
+        todo = [json.loads(r["definition"])["statement"] for r in kept if r["bucket"] in self.catalog.buckets and (r["bucket"], r["name"]) not in self.catalog.indexes]
+        for statement in todo:
+            self.run(statement)
+        return len(todo)
+
     def rebuild_index(self, bucket: str, name: str) -> None:
         d = self.catalog.indexes.get((bucket, name))
         if d is None:

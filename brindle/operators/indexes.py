@@ -28,13 +28,13 @@ class Definition:
     array: tuple[str, ...] = ()
     include: tuple[str, ...] = ()
     where: Any = None
-    where_text: str = ""
+    statement: str = ""
     state: str = "Online"
     data: DataFrame | None = field(default=None, repr=False)
 
     def to_json(self) -> str:
         """What is kept of a definition; its data can be built again."""
-        return json.dumps({k: getattr(self, k) for k in ("name", "bucket", "keys", "array", "include", "where_text", "state")}, sort_keys=True)
+        return json.dumps({k: getattr(self, k) for k in ("name", "bucket", "keys", "array", "include", "statement", "state")}, sort_keys=True)
 
 
 def build(rows: DataFrame, d: Definition, resolve: Callable[[str], Column], cond: Column | None = None, partitions: int | None = None) -> DataFrame:
