@@ -176,7 +176,7 @@ def sample_bags(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str,
     return [(np.frombuffer(r[2], np.int32), np.frombuffer(r[3], np.float32)) for r in got], np.array([r[1] for r in got], np.int64)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = (3000, 1200), seed: int = 17) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", per_class: tuple[int, int] = (2600, 1000), seed: int = 17) -> Model:
     """``per_class`` bounds the clean and the toxic labelled documents that are learned from."""
     return train(*sample_bags(docs, labels, id_col, text_col, label_col, per_class, seed))
 
