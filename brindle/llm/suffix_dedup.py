@@ -198,9 +198,7 @@ def settle(groups: list[list[tuple[bytes, int, bytes]]], length: int = LENGTH) -
                 for sig, lo in who:
                     yield sig, lo, lo + len(part)
             single.append(part)
-        if len(single) == 1 and len(single[0]) <= 2 * length - GRAM:
-            continue
-        # stretches that may repeat, by window hashes
+        # stretches that may repeat, by window hashes: a lone short one too, as places merge where a text begins or ends
         h = [rolling(np.frombuffer(p, np.uint8), length) for p in single]
         values, count = np.unique(np.concatenate(h), return_counts=True)
         often = values[count > 1]

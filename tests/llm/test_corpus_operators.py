@@ -142,6 +142,24 @@ def test_suffix_dedup(spark, monkeypatch, hot):
     assert [got[i] for i in range(len(texts))] == removed(texts)
 
 
+def test_suffix_dedup_of_short_periods(spark):
+    """Runs of 400 to 620 bytes, alone and at either end of a longer text; no two texts share a run."""
+    rng = random.Random(12)
+    texts = []
+    for n in (400, 401, 410, 450, 500, 560, 599, 600, 601, 620):
+        for period in (1, 3, 8, 45, 170):
+            for form in ("{}", "{}{more}", "{more}{}"):
+                word = chr(0x4E00 + len(texts)) if period == 1 else "".join(rng.choice("abcdefgh") for _ in range(period))
+                word = word.encode()
+                run = (word * (n // len(word) + 1))[:n].decode("utf-8", "ignore")
+                texts.append(form.format(run, more=prose(rng, 120)))
+    texts.append("a" * 500)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffix_dedup.dedup(df).collect()}
+    assert got[len(texts) - 1][1] == 500
+    assert [got[i] for i in range(len(texts))] == removed(texts)
+
+
 def test_suffix_dedup_of_odd_rows(odd, odd_rows, nothing):
     small = [r for r in odd_rows if len(r[1] or "") < 50_000]
     want = sorted(removed([r[1] for r in small]))
