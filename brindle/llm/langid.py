@@ -6,8 +6,8 @@ spherical k-means into a few centroids; a text takes the language of the nearest
 by cosine.  Texts further than ``reject_below`` from every centroid are marked rejected.
 
 Null texts and texts without a letter are ``und`` with score 0.  Document frequencies
-cover all training rows; only k-means uses a sample of at most ``per_language`` rows a
-language.  Rows whose language is null are not learned from.  With no training row at
+cover all training rows; only k-means uses a sample of at most ``per_language`` distinct
+texts a language.  Rows whose language is null are not learned from.  With no training row at
 all, every text is ``und``.
 """
 
@@ -19,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._session import arrow
@@ -108,19 +108,21 @@ def document_frequencies(docs: DataFrame, text_col: str) -> tuple[np.ndarray, in
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", clusters: int = 3, per_language: int = 400, seed: int = 17) -> Model | None:
-    """Learn from all rows with a language; ``per_language`` bounds the rows k-means sees
-    of each.  The number of languages must be small (one row each reaches the driver)."""
+    """Learn from all rows with a language; k-means sees the ``per_language`` distinct
+    texts of lowest hash of each, or all of fewer.  The number of languages must be small
+    (``per_language`` vectors each reach the driver)."""
     labelled = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     df, n = document_frequencies(labelled, text_col)
     if not n:
         return None
     idf = np.log((1 + n) / (1 + df)).astype(np.float32) + 1
-    sizes = {r[0]: r[1] for r in labelled.groupBy(lang_col).count().collect()}
-    share = F.lit(0.0)
-    for lang, size in sizes.items():
-        share = F.when(F.col(lang_col) == lang, min(1.0, per_language / size)).otherwise(share)
-    chance = F.pmod(F.xxhash64(F.lit(seed), text_col), F.lit(1_000_000)) / 1e6
-    sample = labelled.filter(chance < share).select(F.col(lang_col), F.col(text_col))
+    hashed = labelled.select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit(seed), text_col).alias("h"))
+    keys = hashed.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(64)))
+    # the lowest of each part first, so that no task takes more than 64 * per_language rows of a language
+    for by in (("lang", "part"), ("lang",)):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("h"))
+        keys = keys.withColumn("place", place).filter(F.col("place") <= per_language).drop("place")
+    sample = hashed.join(F.broadcast(keys.drop("part")), ["lang", "h"]).dropDuplicates(["lang", "h"]).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -132,13 +134,12 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", clu
     got = sorted((r[0], bytes(r[1])) for r in arrow(sample, run, "lang string, vector binary").collect())
     langs: list[str] = []
     centroids = []
-    for lang in sorted(sizes):
+    for lang in sorted({name for name, _ in got}):
         own = [np.frombuffer(v, np.float16) for name, v in got if name == lang]
-        if own:
-            found = spherical_kmeans(np.array(own, np.float32), clusters)
-            centroids.append(found)
-            langs += [lang] * len(found)
-    return Model(idf, np.concatenate(centroids), tuple(langs)) if centroids else None
+        found = spherical_kmeans(np.array(own, np.float32), clusters)
+        centroids.append(found)
+        langs += [lang] * len(found)
+    return Model(idf, np.concatenate(centroids), tuple(langs))
 
 
 def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text", reject_below: float = 0.35) -> DataFrame:

@@ -168,6 +168,17 @@ def test_language(spark, odd, nothing):
     assert {r["lang_pred"] for r in langid.identify(odd, None).collect()} == {"und"}
 
 
+def test_language_of_copies(spark, monkeypatch):
+    """Languages of one text many times over are learned, and copies do not swell the sample."""
+    names = ["aa", "bb", "cc", "dd", "ee", "ff"]
+    docs = [(f"{name} {name * 3} " * 9, name) for name in names for _ in range(1500)] + [(f"zu {i} zuzu", "zz") for i in range(90)]
+    seen, kmeans = [], langid.spherical_kmeans
+    monkeypatch.setattr(langid, "spherical_kmeans", lambda x, k: seen.append(len(x)) or kmeans(x, k))
+    model = langid.fit(spark.createDataFrame(docs, "text string, lang string").repartition(3), per_language=20)
+    assert sorted(set(model.langs)) == [*names, "zz"] and seen == [1] * 6 + [20]
+    assert model.predict([f"{name} {name * 3} ".encode() * 9 for name in names])[0] == names
+
+
 def test_language_counts_in_pieces():
     text = bytes(random.Random(1).choice(b"abc de") for _ in range((1 << 20) + 50))
     whole = np.zeros(langid.DIM, np.int64)
