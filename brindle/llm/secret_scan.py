@@ -193,9 +193,9 @@ def redacted(text: Column, secrets: Column, mark: str = "[SECRET]") -> Column:
     return F.when(F.size(secrets) > 0, F.aggregate(ordered, text, lambda t, s: F.replace(t, s["s"], F.lit(mark)))).otherwise(text)
 
 
-def redact(docs: DataFrame, forest: Sequence[Tree], text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
+def redact(docs: DataFrame, forest: Sequence[Tree], text_col: str = "text", length_col: str | None = "n_chars", path_col: str | None = None) -> DataFrame:
     """``docs`` with every secret replaced; its columns stay, ``length_col`` follows the text."""
-    out = scan(docs, forest, text_col).withColumn("text", redacted(F.col("text"), F.col("secrets")))
+    out = scan(docs, forest, text_col, path_col).withColumn("text", redacted(F.col("text"), F.col("secrets")))
     own = {c: F.col("row").getField(c) for c in docs.columns} | {text_col: F.col("text")}
     if length_col in docs.columns:
         own[length_col] = F.when(F.size("secrets") > 0, F.length("text")).otherwise(own[length_col]).cast(docs.schema[length_col].dataType)

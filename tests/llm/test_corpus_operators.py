@@ -188,6 +188,14 @@ def test_secrets(spark, odd, nothing):
     assert secret_scan.report(nothing, forest).count() == 0 and secret_scan.report(odd, forest).count() == odd.count()
 
 
+def test_secrets_are_judged_by_path(spark):
+    forest = [secret_scan.Tree(0.5, secret_scan.FEATURES.index("bad_path"), 0.5, secret_scan.Tree(1.0), secret_scan.Tree(0.0))]
+    rows = [("on password=18a0165473c0330cab", p) for p in ("src/app.py", "tests/test_app.py", None)]
+    docs = spark.createDataFrame(rows, "text string, file string")
+    got = sorted((r["file"] or "", r["text"]) for r in secret_scan.redact(docs, forest, path_col="file").collect())
+    assert got == [("", "on password=[SECRET]"), ("src/app.py", "on password=[SECRET]"), ("tests/test_app.py", rows[1][0])]
+
+
 def test_targets():
     assert mixing.targets({"a": 100, "b": 100, "c": 100}) == {"a": 50, "b": 100, "c": 150}
     got = mixing.targets({"a": 1000, "b": 10, None: 10})
