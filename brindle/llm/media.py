@@ -4,7 +4,8 @@ Samples are kept as 8-bit PCM in a RIFF/WAVE file in memory.  Reading parses the
 again; features come from what was read: polyphase resampling to half the rate, log-mel
 energies of overlapping frames, and active spans by energy with hysteresis.  The general
 interface returns segments as rows of fixed shape (``FRAMES`` x ``MELS`` float32) with
-their time spans, and ``write_tensors`` stores them as Arrow fixed-shape tensors.
+their time spans; ``tensor_table`` makes Arrow fixed-shape tensors of collected rows, on the
+driver.  Nothing stores tensors yet.
 
 Null and empty inputs have a payload of zeros and so silent features.  Equal bytes give
 equal values.  Long inputs are read in blocks, so that memory is bounded by the file
