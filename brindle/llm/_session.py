@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 #: Ids broadcast at most: 2 million longs are 16 MB as rows, less than 100 MB hashed.
 BROADCAST_IDS = 1_000_000
-_written: list[tuple[object, object]] = []
+_written: dict[str, tuple[object, object]] = {}
 
 
 _shipped: set[tuple[str, str]] = set()
@@ -57,30 +57,53 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests, one machine), one beside the warehouse."""
+    """The folder in spark.checkpoint.dir.  Where that is unset, one beside the warehouse, on one machine only."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
-        spark.conf.set("spark.checkpoint.dir", named)
     return named.rstrip("/")
 
 
+#: Shuffle files of a finished write serve nobody: what it wrote is read from then on.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from files
-    that outlive executors.  The folder goes when the driver's Python ends."""
+    that outlive executors.  The folder goes by ``free`` or when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.unset(_CLEANUP) if before is None else spark.conf.set(_CLEANUP, before)
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
-    _written.append((where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where))
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _written[path] = (where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where)
+    out._brindle_path = path
+    return out
+
+
+def free(*cuts: DataFrame) -> None:
+    """Delete what ``cut`` wrote for these; nothing that is still to run may read them."""
+    for df in cuts:
+        fs, where = _written.pop(df._brindle_path)
+        fs.delete(where, True)
+
+
+def id_type(docs: DataFrame, id_col: str) -> str:
+    return docs.schema[id_col].dataType.simpleString()
 
 
 @atexit.register
 def _clean() -> None:
     while _written:
-        fs, path = _written.pop()
+        _, (fs, path) = _written.popitem()
         try:
             fs.delete(path, True)
         except Exception:  # the session has gone: nothing is left to ask

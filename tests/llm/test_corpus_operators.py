@@ -260,3 +260,37 @@ def test_mixing(spark, odd, odd_rows, nothing):
     assert mixed(odd).count() == len(odd_rows) and mixed(odd).filter("w = 0 AND taken <> 0").count() == 0
     out = mixing.repeat_taken(df)
     assert out.columns == df.columns and out.select(F.sum(mixing.n_words(F.col("text")))).first()[0] == sum(got.values())
+
+
+def crowd():
+    """Texts that are mostly one passage and mostly not linked, beside a large group whose members differ widely."""
+    rng = random.Random(10)
+    passage, base = prose(rng, 100), prose(rng, 60).split(" ")
+    out = {i: prose(rng, rng.randrange(12, 40)) + " " + passage for i in range(200)}
+    for i in range(200, 320):
+        w = list(base)
+        for _ in range(rng.randrange(0, 5)):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(10**6)}"
+        out[i] = " ".join(w)
+    for i in range(320, 340):
+        out[i] = prose(rng, 900)
+        out[i + 20] = out[i].replace("a", "A").replace(" ", "\n", 5) + " more" * rng.randrange(3)
+    return out
+
+
+def test_near_groups_of_crowds(spark, n=4):
+    texts = crowd()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_groups(df, shingle=n).collect()}
+    assert got == linked(texts, n)
+
+
+def test_near_groups_of_repeated_and_textual_ids(spark):
+    rng = random.Random(13)
+    x, y, z = (prose(rng, 60) for _ in range(3))
+    rows = [("b", x), ("b", y), ("c", y + " end"), ("a", x), ("d", z), ("d", None), ("e", z)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted((r["doc_id"], r["n_shingles"] > 0, r["component_id"]) for r in minhash.near_groups(df).collect())
+    assert got == [("a", True, "a"), ("b", True, "a"), ("b", True, "a"), ("c", True, "a"), ("d", False, "d"), ("d", True, "d"), ("e", True, "d")]
+    for parts in (1, 3):
+        assert sorted(map(tuple, minhash.keep_one(df.repartition(parts)).collect())) == [("a", x), ("d", None)]
