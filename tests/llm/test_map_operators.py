@@ -4,6 +4,7 @@ import fnmatch
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -83,10 +84,23 @@ def test_quality_rejects_junk_and_order_does_not_matter():
     base = quality.Base([t.encode() for t in (clean, *junk)])
     for rules in (list(quality.RULES), list(quality.RULES)[::-1]):
         assert quality.cascade(base, np.arange(4), rules).tolist() == [0]
-    plan = quality.plan_cascade([t.encode() for t in (clean, *junk)])
-    assert sorted(e.name for e in plan) == sorted(r.name for r in quality.RULES)
-    ranks = [e.selectivity / e.cost for e in plan]
-    assert ranks == sorted(ranks, reverse=True)
+    every = [t.encode() for t in (clean, *junk)]
+    plan = quality.plan_cascade(every, quality.BASE_RULES + quality.RULES)
+    assert sorted(e.name for e in plan) == sorted(r.name for r in quality.BASE_RULES + quality.RULES)
+
+
+def test_cascade_is_lazy_and_ranks_what_is_left(monkeypatch):
+    """A rule ranks by what it rejects of what is left, and counts are made only for texts that reach a rule."""
+    asked = []
+    for name in ("n_symbols", "n_dup_lines"):
+        monkeypatch.setitem(quality.COUNTS, name, lambda base, rows, name=name: asked.append((name, rows.tolist())) or np.zeros(len(rows), np.int64))
+    texts = [b"w " * 5, b"w " * 30, None, b"v " * 40]
+    some = [quality.Rule("few", lambda base, rows: base.of("n_words", rows) < 20), quality.RULES[0], quality.RULES[1]]
+    assert quality.cascade(quality.Base(texts), np.arange(4), some).tolist() == [1, 3]
+    assert asked == [("n_symbols", [1, 3]), ("n_dup_lines", [1, 3])]
+    half = lambda wait, bad: lambda base, rows: (time.sleep(wait), np.isin(rows, bad))[1]
+    rules = (quality.Rule("a", half(0.01, [0, 1])), quality.Rule("b", half(0.02, [0, 1])), quality.Rule("c", half(0.04, [2, 3])), quality.Rule("d", half(0.3, [])))
+    assert [e.name for e in quality.plan_cascade([b""] * 5, rules)] == ["a", "c", "b", "d"]
 
 
 def test_toxic_words_and_unseen_misspellings(spark, odd, nothing):
