@@ -19,10 +19,11 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._session import arrow
+from ._session import arrow, id_type
 
 #: Parts up to which a word's ranks are scanned.
 SCAN_LIMIT = 96
@@ -177,22 +178,26 @@ def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", t
             ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
-    return arrow(docs.select(id_col, text_col), run, f"{id_col} long, ids array<int>")
+    return arrow(docs.select(id_col, text_col), run, f"{id_col} {id_type(docs, id_col)}, ids array<int>")
 
 
-def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Encode and decode every text; return token counts and SHA-256 of the decimal ids
-    joined by commas and of the decoded text."""
+    joined by commas and of the decoded text, and the ids too if ``with_ids``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
         for batch in batches:
-            count, of_ids, of_text = [], [], []
+            count, of_ids, of_text, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = own.ids(text or "")
                 count.append(ids.count(",") + 1 if ids else 0)
                 of_ids.append(hashlib.sha256(ids.encode()).hexdigest())
                 of_text.append(hashlib.sha256(own.text(ids).encode()).hexdigest())
-            yield pa.record_batch([batch.column(0), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+                if with_ids:
+                    all_ids.append(np.fromstring(ids, np.int32, sep=",") if ids else np.empty(0, np.int32))
+            columns = [batch.column(0), pa.array(count, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+            yield pa.record_batch([*columns, pa.array(all_ids, pa.list_(pa.int32()))] if with_ids else columns, names=names)
 
-    return arrow(docs.select(id_col, text_col), run, f"{id_col} long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    names = [id_col, "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])]
+    return arrow(docs.select(id_col, text_col), run, f"{id_col} {id_type(docs, id_col)}, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)

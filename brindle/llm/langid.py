@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._session import arrow
+from ._session import arrow, id_type
 from ._text import LOWER, chunks, utf8
 
 DIM = 4096
@@ -159,7 +159,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
                             lang[i - lo] = name
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(lang), pa.array(score), pa.array(score < reject_below)], names=[id_col, "lang_pred", "score", "rejected"])
 
-    return arrow(docs.select(id_col, text_col), run, f"{id_col} long, lang_pred string, score double, rejected boolean")
+    return arrow(docs.select(id_col, text_col), run, f"{id_col} {id_type(docs, id_col)}, lang_pred string, score double, rejected boolean")
 
 
 def fold(id_col: str = "doc_id") -> Column:

@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._session import arrow
+from ._session import arrow, id_type
 from ._text import utf8
 
 RATE = 16_000
@@ -174,7 +174,7 @@ def segments(docs: DataFrame, id_col: str = "doc_id", payload_col: str = "payloa
                     span = lo * HOP / rate, ((lo + len(part) - 1) * HOP + FRAME) / rate
                     yield pa.record_batch([batch.column(0).slice(i, 1), pa.array([k], pa.int32()), pa.array([span[0]]), pa.array([span[1]]), pa.array([on[lo : lo + FRAMES].sum() * HOP / rate]), pa.array([full.ravel()], pa.list_(pa.float32()))], names=[id_col, "segment", "start_s", "end_s", "active_s", "log_mel"])
 
-    return arrow(docs.select(id_col, payload_col), run, f"{id_col} long, segment int, start_s double, end_s double, active_s double, log_mel array<float>")
+    return arrow(docs.select(id_col, payload_col), run, f"{id_col} {id_type(docs, id_col)}, segment int, start_s double, end_s double, active_s double, log_mel array<float>")
 
 
 def tensor_table(rows: pa.Table) -> pa.Table:
@@ -201,4 +201,4 @@ def digest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=[id_col, *names])
 
-    return arrow(docs.select(id_col, text_col), run, f"{id_col} long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return arrow(docs.select(id_col, text_col), run, f"{id_col} {id_type(docs, id_col)}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")

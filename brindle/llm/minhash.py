@@ -38,7 +38,7 @@ from ._session import BROADCAST_IDS, arrow, by_ids, cut, free, id_type
 from ._text import chunks, mix, shingle_sets, utf8
 
 #: Values of a sketch: for the first lists, for the union sketch, and for lists that mix groups.
-SKETCH, UNION, FINE = 32, 128, 256
+SKETCH, UNION, FINE = 32, 128, 1024
 
 
 @lru_cache(16)

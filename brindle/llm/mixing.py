@@ -7,12 +7,14 @@ is spread as thinly as quotas allow.  A pattern's words are then turned into doc
 whole uses for all of them, and for the rest the documents first in a seeded order.
 
 The seeded order is cut by two levels of hash buckets whose sums are small; only the one
-bucket in which the cut falls is looked at document by document, and filled as closely
-as whole documents allow.  Sizes are whole numbers of words, and documents are taken
-whole.  What reaches the driver is one row for each pattern.
+bucket in which the cut falls is looked at document by document: around the cut the subset
+(repeats included) is taken whose sum comes closest.  Sizes are whole numbers of words, and
+documents are taken whole.  What reaches the driver is one row for each pattern.
 
 Null and empty texts have size 0 and take nothing.  Null sources are one source, ordered
-last.  Rows that repeat an id stand or fall together.
+last.  Rows that repeat an id and size stand or fall together; ties in the seeded order go by id
+and size.  Very long texts count whole.  Columns of any name go along; source_size, target and taken are
+replaced.  An empty table gives an empty mix.
 """
 
 from __future__ import annotations
@@ -27,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._session import cut, ship
+from ._session import cut, id_type, ship
 
 #: Documents that a bucket should hold, and buckets of a level at most.
 BUCKET, BUCKETS = 256, 1024
@@ -63,21 +65,9 @@ def flow(patterns: dict[tuple, int], quotas: dict[str | None, int], repeats: int
     """Words of each pattern for each of its sources.  Use r of a pattern costs r - 1 a word;
     quotas are met as far as capacity allows, at the least cost (successive shortest paths)."""
     out: dict[tuple, dict[str | None, int]] = {p: {} for p in patterns}
-    fed = defaultdict(list)
-    for p in patterns:
-        for s in p:
-            fed[s].append(p)
-    todo = []
-    for s, q in quotas.items():
-        if len(fed[s]) == 1 and len(p := fed[s][0]) == 1:  # a pattern of its own needs no search
-            out[p][s] = min(q, repeats * patterns[p])
-        elif fed[s]:
-            todo.append(s)
-    if not todo:
-        return out
     # residual graph: 0 start, 1 end, then patterns and sources
-    nodes = {("p", p): 2 + i for i, p in enumerate(p for p in patterns if any(s in todo for s in p))}
-    nodes |= {("s", s): 2 + len(nodes) + i for i, s in enumerate(todo)}
+    nodes = {("p", p): 2 + i for i, p in enumerate(patterns)}
+    nodes |= {("s", s): 2 + len(nodes) + i for i, s in enumerate(quotas)}
     head: list[list[int]] = [[] for _ in range(2 + len(nodes))]
     to, room, cost = [], [], []
 
@@ -93,8 +83,7 @@ def flow(patterns: dict[tuple, int], quotas: dict[str | None, int], repeats: int
             for r in range(repeats):
                 edge(0, i, patterns[x], r)
             for s in x:
-                if ("s", s) in nodes:
-                    routes[x, s] = edge(i, nodes["s", s], repeats * patterns[x], 0)
+                routes[x, s] = edge(i, nodes["s", s], repeats * patterns[x], 0)
         else:
             edge(i, 1, quotas[x], 0)
     height = [0] * len(head)
@@ -103,6 +92,8 @@ def flow(patterns: dict[tuple, int], quotas: dict[str | None, int], repeats: int
         best[0], heap = 0, [(0, 0)]
         while heap:
             d, a = heapq.heappop(heap)
+            if a == 1:  # what is further than the end is as good as at its distance
+                break
             if d > best[a]:
                 continue
             for e in head[a]:
@@ -111,7 +102,7 @@ def flow(patterns: dict[tuple, int], quotas: dict[str | None, int], repeats: int
                     heapq.heappush(heap, (best[b], b))
         if best[1] is None:
             break
-        height = [h + (d if d is not None else best[1]) for h, d in zip(height, best, strict=True)]
+        height = [h + (best[1] if d is None or d > best[1] else d) for h, d in zip(height, best, strict=True)]
         at, most = 1, None
         while at:
             most = room[via[at]] if most is None else min(most, room[via[at]])
@@ -126,18 +117,55 @@ def flow(patterns: dict[tuple, int], quotas: dict[str | None, int], repeats: int
     return out
 
 
+#: Documents before and after the cut among which the sum closest to what is needed is looked
+#: for, and bits that a set of sums may have (larger sums are taken in larger units).
+BEFORE, AFTER, BITS = 12, 24, 1 << 22
+
+
+def closest(sizes: Sequence[int], need: int, uses: int) -> list[int]:
+    """How often to use each of ``sizes``, ``uses`` times at most, so that their sum comes closest to
+    ``need``; further uses only where they bring it closer."""
+    if not uses or not sizes:
+        return [0] * len(sizes)
+    unit = max(1, 2 * need >> BITS.bit_length() - 1)
+    small, aim = [max(1, round(x / unit)) for x in sizes], round(need / unit)
+    every = (1 << 2 * aim + 1) - 1  # a greater sum is further off than none
+    reach = [1]
+    items = [(i, x) for _ in range(uses) for i, x in enumerate(small)]
+    for _, x in items:
+        reach.append(reach[-1] | reach[-1] << x & every)
+    total = 0
+    for upto in (len(small), len(items)):
+        sums = reach[upto]
+        low = (sums & (1 << aim + 1) - 1).bit_length() - 1
+        high = sums >> aim
+        up = (high & -high).bit_length() - 1 if high else aim + 1
+        best = low if aim - low <= up else aim + up
+        if upto == len(small) or abs(best - aim) < abs(total - aim):
+            total, last = best, upto
+    out = [0] * len(sizes)
+    for k in range(last, 0, -1):
+        if not reach[k - 1] >> total & 1:
+            i, x = items[k - 1]
+            out[i] += 1
+            total -= x
+    return out
+
+
 def _fill(group: pd.DataFrame) -> pd.DataFrame:
-    """Of one bucket, the documents that fill ``_need`` words as closely as a pass in seeded
-    order allows, and then one more if that comes closer."""
+    """Of one bucket, the documents that fill ``_need`` words: in seeded order up to the cut, and
+    around it those whose sum comes closest, up to ``_uses`` times each."""
     group = group.sort_values(["_u", "_id", "_size"], kind="stable")
-    left, taken = int(group["_need"].iloc[0]), []
-    for size in group["_sum"]:
-        taken.append(0 < size <= left)
-        left -= size if taken[-1] else 0
-    over = [(size - left, i) for i, (size, t) in enumerate(zip(group["_sum"], taken, strict=True)) if not t and size and size - left < left]
-    if over:
-        taken[min(over)[1]] = True
-    return group[taken][["_pattern", "_id", "_u", "_size"]]
+    group = group[group["_sum"] > 0]
+    if not len(group):
+        return group.assign(_times=0)[["_pattern", "_id", "_u", "_size", "_times"]]
+    need, sums = int(group["_need"].iloc[0]), group["_sum"].cumsum()
+    fit = int((sums <= need).sum())
+    first = max(0, fit - BEFORE)
+    left = need - (int(sums.iloc[first - 1]) if first else 0)
+    times = [1] * first + closest([int(x) for x in group["_sum"].iloc[first : fit + AFTER]], left, int(group["_uses"].iloc[0]))
+    group = group.iloc[: len(times)].assign(_times=times)
+    return group[group["_times"] > 0][["_pattern", "_id", "_u", "_size", "_times"]]
 
 
 def mix(docs: DataFrame, memberships: Column, size: Column, id_col: str = "doc_id", weights: Sequence[int] = (1, 2, 3), repeats: int = 3, seed: int = 17) -> DataFrame:
@@ -166,10 +194,10 @@ def mix(docs: DataFrame, memberships: Column, size: Column, id_col: str = "doc_i
         first = min(p, key=lambda s: (s is None, s or "")) if p else None
         one = min(BUCKETS, max(1, r["n"] // BUCKET))
         two = min(BUCKETS, max(1, r["n"] // one // BUCKET))
-        plan.append((r["_pattern"], sizes[first] if p else 0, float(aim[first]) if p else 0.0, whole, rest, one, two))
+        plan.append((r["_pattern"], sizes[first] if p else 0, float(aim[first]) if p else 0.0, whole, rest, repeats - whole, one, two))
     spark = docs.sparkSession
     ship(spark)
-    table = spark.createDataFrame(plan, "_pattern string, source_size long, target double, _whole long, _rest long, _one long, _two long")
+    table = spark.createDataFrame(plan, "_pattern string, source_size long, target double, _whole long, _rest long, _uses long, _one long, _two long")
     few = len(plan) <= BROADCAST_PATTERNS
     small = lambda df: F.broadcast(df) if few else df
     at = F.floor(F.col("_u") * F.col("_one"))
@@ -184,14 +212,16 @@ def mix(docs: DataFrame, memberships: Column, size: Column, id_col: str = "doc_i
     fine = fine.withColumn("_upto", F.sum("_sum").over(order))
     cut2 = fine.filter("_upto - _sum <= _left AND _left < _upto").groupBy("_pattern").agg(F.min(F.struct("_b1", "_b2", F.expr("_left - (_upto - _sum)").alias("need"))).alias("c"))
     edge = cut(cut2.select("_pattern", F.col("c._b1").alias("_e1"), F.col("c._b2").alias("_e2"), F.col("c.need").alias("_need")))
-    brink = placed.join(small(edge), "_pattern").filter("_b1 = _e1 AND _b2 = _e2").groupBy("_pattern", "_id", "_u", "_size", "_need").agg(F.sum("_size").alias("_sum"))
-    chosen = cut(brink.groupBy("_pattern").applyInPandas(_fill, "_pattern string, _id long, _u double, _size long"))
-    chosen = chosen.select(F.col("_pattern").alias("_cp"), F.col("_id").alias("_cid"), F.col("_size").alias("_cs"), F.lit(True).alias("_chosen"))
+    brink = placed.join(small(edge), "_pattern").filter("_b1 = _e1 AND _b2 = _e2").groupBy("_pattern", "_id", "_u", "_size", "_need", "_uses").agg(F.sum("_size").alias("_sum"))
+    chosen = cut(brink.groupBy("_pattern").applyInPandas(_fill, f"_pattern string, _id {id_type(docs, id_col)}, _u double, _size long, _times long"))
+    chosen = chosen.select(F.col("_pattern").alias("_cp"), F.col("_id").alias("_cid"), F.col("_size").alias("_cs"), "_times")
+    # a few documents for each pattern, so counted on their own
+    near = F.broadcast(chosen) if chosen.limit(BROADCAST_PATTERNS + 1).count() <= BROADCAST_PATTERNS else chosen
 
     placed = placed.join(small(edge), "_pattern", "left")
-    placed = placed.join(small(chosen), (F.col("_pattern") == F.col("_cp")) & F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_size") == F.col("_cs")), "left")
+    placed = placed.join(near, (F.col("_pattern") == F.col("_cp")) & F.col("_id").eqNullSafe(F.col("_cid")) & (F.col("_size") == F.col("_cs")), "left")
     before = F.coalesce(F.struct("_b1", "_b2") < F.struct("_e1", "_e2"), F.lit(False))
-    once = F.when(before | F.coalesce("_chosen", F.lit(False)), 1).otherwise(0)
+    once = F.when(before, 1).otherwise(F.coalesce("_times", F.lit(0)))
     own = [F.col("_row").getField(c).alias(c) for c in docs.columns if c not in ("source_size", "target", "taken")]
     return placed.select(*own, "source_size", "target", (F.col("_size") * (F.col("_whole") + once)).alias("taken"))
 

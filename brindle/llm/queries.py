@@ -32,7 +32,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.report(table(spark, sf_dir, "documents"), secret_scan.fit(spark))
+    docs = table(spark, sf_dir, "documents")
+    words = secret_scan.dictionary(docs)
+    # where a document comes from is the only path that it has
+    return secret_scan.report(docs, secret_scan.fit(spark, words=words), path_col="source", words=words)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

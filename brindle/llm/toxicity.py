@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import arrow
+from ._session import arrow, id_type
 from ._text import chunks, utf8
 
 BITS = 18
@@ -192,4 +192,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
                 prob = 1 / (1 + np.exp(-logits))
                 yield pa.record_batch([batch.column(0).slice(lo, hi - lo), pa.array(prob), pa.array((prob >= threshold).astype(np.int32))], names=[id_col, "score", "predicted"])
 
-    return arrow(docs.select(id_col, text_col), run, f"{id_col} long, score double, predicted int")
+    return arrow(docs.select(id_col, text_col), run, f"{id_col} {id_type(docs, id_col)}, score double, predicted int")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from ._session import arrow
+from ._session import arrow, id_type
 from ._text import utf8
 
 #: (rule, allow): a host, taken with all subdomains, and the beginning of a path.
@@ -132,4 +132,4 @@ def judge(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", path_
                 text = lambda k: pa.array([p[k].decode("utf-8", "replace") for p in parts], pa.string())  # noqa: B023, E731
                 yield pa.record_batch([batch.column(0).slice(lo, len(some)), text(0), text(1), pa.array(rule, pa.string()), pa.array(verdict)], names=[id_col, "host", "path", "rule", "verdict"])
 
-    return arrow(pages.select(id_col, url_col), run, f"{id_col} long, host string, path string, rule string, verdict string")
+    return arrow(pages.select(id_col, url_col), run, f"{id_col} {id_type(pages, id_col)}, host string, path string, rule string, verdict string")
