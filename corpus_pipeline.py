@@ -2,7 +2,12 @@
 
 Each stage works on all that its predecessor kept: junk goes, one document of each group of
 near copies stays, secrets are redacted, sources are mixed to target weights (documents
-repeat as often as the mix takes them), and what is left is encoded.
+repeat as often as the mix takes them, as rows alike), and what is left is encoded to token ids.
+
+Null and empty texts go at the first stage; rows with a null id are kept as documents of their own, a null
+source is a source.  Rows that repeat an id are one document from near-dedup on.  Very long
+texts pass whole.  Columns beyond those of documents go along up to the last stage, whatever
+their names.  Ties go by id.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +29,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact(docs, secret_scan.fit(spark))
+    words = secret_scan.dictionary(docs)
+    return secret_scan.redact(docs, secret_scan.fit(spark, words=words), path_col="source", words=words)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +38,8 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def bpe_encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    """Token ids of every document, with their number and digests."""
+    return bpe.digest(docs, public_tokenizers.path("byte_bpe_50k.json"), with_ids=True)
 
 
 STAGES = [("quality_rules", quality_rules), ("near_dedup", near_dedup), ("secret_scans", secret_scans), ("source_mixing", source_mixing), ("bpe_encoding", bpe_encoding)]
