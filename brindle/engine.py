@@ -42,6 +42,8 @@ class Engine:
         self.spark, self.catalog = spark, Catalog(spark)
         self._prepared: dict[str, tuple[str, Any]] = {}
         self._search: dict[str, fts.Index] = {}
+        #: of each search index: bucket, its version then, and what it was created with
+        self._search_of: dict[str, tuple[str, int, tuple]] = {}
         self._audit: list[tuple] = []
         self._audit_ids = itertools.count(1)
         self._transactions: dict[str, transactions.Transaction] = {}
@@ -49,8 +51,9 @@ class Engine:
     # -- buckets
 
     def create_bucket(self, name: str, **config: Any) -> Bucket:
+        made = self.catalog.create(name, Config(**config))
         self.log("bucket_create", name)
-        return self.catalog.create(name, Config(**config))
+        return made
 
     def drop_bucket(self, name: str) -> None:
         self.catalog.drop(name)
@@ -153,7 +156,7 @@ class Engine:
     def _insert(self, s: S.Insert) -> DataFrame:
         b = self.catalog.get(s.source.bucket)
         rows = [(str(S.constant(k)), json.dumps(S.constant(v), ensure_ascii=False, sort_keys=True)) for k, v in s.rows]
-        batch = self.spark.createDataFrame(rows, "key string, value string")
+        batch = self.spark.createDataFrame(rows if b.mode == "document" else list(dict(rows).items()), "key string, value string")
         if b.mode == "document":
             batch = batch.withColumns({"scope": F.lit(s.source.scope or "_default"), "collection": F.lit(s.source.collection or "_default")})
             self.catalog.replace(b.name, kv.upsert(b.frame, batch, self.catalog.clock(b.name), b.config.max_ttl or None, b.config.vbuckets))
@@ -205,6 +208,7 @@ class Engine:
 
     def put(self, bucket: str, documents: dict[str, Any], ttl: int | None = None, cas: int | None = None) -> None:
         """Upsert documents; with ``cas``, replace one that has not changed."""
+        self.log("documents_put", bucket, f"{len(documents)} documents")
         b, clock = self.catalog.get(bucket), self.catalog.clock(bucket)
         batch = self.spark.createDataFrame([(k, json.dumps(v, ensure_ascii=False)) for k, v in documents.items()], "key string, value string")
         if ttl:
@@ -221,6 +225,7 @@ class Engine:
         return json.loads(row["value"])
 
     def remove(self, bucket: str, key: str, cas: int | None = None) -> None:
+        self.log("document_remove", bucket, key)
         keys = self.spark.createDataFrame([(key, cas)], "key string, cas bigint")
         self.catalog.replace(bucket, kv.delete(self.catalog.get(bucket).frame, keys if cas is not None else keys.drop("cas"), self.catalog.clock(bucket)))
 
@@ -234,6 +239,41 @@ class Engine:
     def stats(self, bucket: str) -> DataFrame:
         return kv.stats(self.catalog.get(bucket).frame)
 
+    # -- change events
+
+    def changes(self, bucket: str, path: str) -> None:
+        """From now on mutations of a document bucket are published to ``path`` after each statement or call."""
+        self.catalog.get(bucket)
+        self.catalog.watched[bucket] = path
+
+    # -- scopes, and mutations of keys
+
+    def create_scope(self, bucket: str, scope: str, collection: str | None = None) -> None:
+        self.catalog.create_scope(bucket, scope, collection)
+        self.log("scope_create", bucket, f"{scope}.{collection or ''}")
+
+    def drop_scope(self, bucket: str, scope: str, collection: str | None = None) -> None:
+        self.catalog.drop_scope(bucket, scope, collection)
+        self.log("scope_drop", bucket, f"{scope}.{collection or ''}")
+
+    def flush(self, bucket: str) -> None:
+        self.catalog.flush(bucket)
+        self.log("bucket_flush", bucket)
+
+    def _keys(self, *keys: str) -> DataFrame:
+        return self.spark.createDataFrame([(k,) for k in keys], "key string")
+
+    def touch(self, bucket: str, key: str, ttl: int) -> None:
+        clock = self.catalog.clock(bucket)
+        self.apply(bucket, kv.touch, self._keys(key), F.lit(clock.now + dt.timedelta(seconds=ttl)).cast("timestamp"))
+
+    def counter(self, bucket: str, key: str, delta: int = 1, initial: int | None = None) -> int:
+        self.apply(bucket, kv.counter, self._keys(key), delta, initial=initial)
+        return int(self.get(bucket, key))
+
+    def append(self, bucket: str, key: str, text: str, front: bool = False) -> None:
+        self.apply(bucket, kv.append, self._keys(key), text, front=front)
+
     # -- indexes and search
 
     def indexes(self) -> DataFrame:
@@ -258,14 +298,45 @@ class Engine:
         d.data = self.catalog._materialise(d)
 
     def create_search(self, name: str, bucket: str, fields: list[str] | None = None, analyzer: fts.Analyzer = fts.STANDARD, numeric: tuple[str, ...] = ()) -> fts.Index:
+        """A stored index of the named fields, or of all that hold text; it follows mutations."""
+        seen = (bucket, self.catalog.get(bucket).version, (fields, analyzer, numeric))
+        self._search[name] = fts.build(self._searchable(bucket), "_key", fields, analyzer, numeric, name).stored()
+        self._search_of[name] = seen
+        return self._search[name]
+
+    def _searchable(self, bucket: str) -> DataFrame:
         rows = self.catalog.rows(bucket)
-        rows = rows.drop(*(c for c in ("_cas", "_rev", "_expiry", "_updated_at") if c in rows.columns))
-        self._search[name] = fts.build(rows, "_key", fields, analyzer, numeric, name)
+        return rows.drop(*(c for c in ("_cas", "_rev", "_expiry", "_updated_at") if c in rows.columns))
+
+    def _fresh(self, name: str) -> fts.Index:
+        """The index, brought up to the bucket's state: documents written since are indexed again,
+        and keys that no longer live leave.  Table buckets and new text fields ask for a rebuild."""
+        bucket, version, (fields, analyzer, numeric) = self._search_of[name]
+        b, index = self.catalog.get(bucket), self._search[name]
+        if b.version == version:
+            return index
+        rows = self._searchable(bucket)
+        found = tuple(f for f in (fields or fts.string_fields(rows.schema)) if f != "_key")
+        held = dict(index.documents.dtypes)
+        same = b.mode == "document" and found == index.fields and all(f in rows.columns and rows.select(f).dtypes[0][1] == held.get(f) for f in (*found, *numeric))
+        if not same:
+            return self.create_search(name, bucket, fields, analyzer, numeric)
+        # numbers of a version's writes begin at 1 + version * 2^40
+        changed = rows.join(b.frame.filter(F.col("seq_no") > version << 40).select(F.col("key").alias("_key")), "_key", "left_semi")
+        gone = index.documents.select("key").join(rows.select(F.col("_key").alias("key")), "key", "left_anti")
+        self._search[name], self._search_of[name] = fts.update(index, changed, "_key", gone).stored(), (bucket, b.version, (fields, analyzer, numeric))
         return self._search[name]
 
+    def rebuild_search(self, name: str) -> fts.Index:
+        if name not in self._search:
+            raise NotFound(f"index {name}")
+        bucket, _, (fields, analyzer, numeric) = self._search_of[name]
+        return self.create_search(name, bucket, fields, analyzer, numeric)
+
     def drop_search(self, name: str) -> None:
         if self._search.pop(name, None) is None:
             raise NotFound(f"index {name}")
+        del self._search_of[name]
 
     def searches(self) -> DataFrame:
         return self.spark.createDataFrame([(i.name, i.state, ",".join(i.fields)) for i in self._search.values()], "name string, state string, fields string")
@@ -273,7 +344,7 @@ class Engine:
     def search(self, request: dict[str, Any]) -> DataFrame:
         if request.get("index") not in self._search:
             raise NotFound(f"index {request.get('index')}")
-        return fts.Search(self._search[request["index"]]).top(request)
+        return fts.Search(self._fresh(request["index"])).top(request)
 
     # -- transactions, replication, backups, observation
 

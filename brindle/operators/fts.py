@@ -1,16 +1,16 @@
 """Full-text search: analyzers, inverted index, query trees and BM25.
 
 An index is three DataFrames: tokens (one row for each kept token and its place), document
-lengths, and statistics of fields.  A query tree becomes a DataFrame of key and score,
-composed of joins, unions and anti-joins.  Terms that a query names are filtered before
-anything is grouped; prefixes, wildcards, patterns and fuzzy terms are looked up in the
-vocabulary, never among tokens.
+lengths, and statistics of fields.  ``stored`` writes them once, tokens ordered by term, with
+the vocabulary; searches then read only what they need.  A query tree becomes a DataFrame of
+key and score, composed of joins, unions and anti-joins.  Terms that a query names are filtered
+before anything is grouped; prefixes, wildcards and patterns are looked up in the vocabulary.
 """
 
 from __future__ import annotations
 
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 from typing import Any
 
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Invalid
+from ..sources.settled import settle
 
 STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "but", "by", "for", "if", "in", "into", "is", "it", "no", "not", "of", "on", "or", "such", "that", "the", "their", "then", "there", "these", "they", "this", "to", "was", "will", "with")
 K1, B = 1.2, 0.75
@@ -69,16 +70,32 @@ class Index:
     tokens: DataFrame
     state: str = "Online"
     boosts: dict[str, float] = field(default_factory=dict)
+    #: what ``stored`` wrote: lengths, field statistics and vocabulary
+    kept: dict[str, DataFrame] = field(default_factory=dict)
+
+    def stored(self) -> Index:
+        """The index written out, its tokens in ranges of field and term."""
+        tokens = settle(self.tokens.repartitionByRange("field", "term", "key").sortWithinPartitions("field", "term", "key", "pos"))
+        out = replace(self, documents=settle(self.documents), tokens=tokens, kept={})
+        kept = {"lengths": settle(out.lengths())}
+        kept |= {"stats": settle(kept["lengths"].groupBy("field").agg(F.avg("dl").alias("avgdl"), F.count(F.lit(1)).alias("docs"))), "vocabulary": settle(out.vocabulary().repartitionByRange("field", "term"))}
+        return replace(out, kept=kept)
 
     def lengths(self) -> DataFrame:
         """Of documents that have the field, even with no token in it."""
-        sizes = self.documents.select("key", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.when(F.col(f"`{f}`").isNotNull(), F.size(self.analyzer.tokens(text_of(self.documents, f)))).alias("dl")) for f in self.fields))).alias("x"))
+        if "lengths" in self.kept:
+            return self.kept["lengths"]
+        sizes = self.documents.select("key", F.explode(F.array(*(F.struct(F.lit(f).alias("field"), F.when(F.col(f"`{f}`").isNotNull(), F.size(self.analyzer.tokens(text_of(self.documents, f)))).alias("dl")) for f in self.fields)).cast("array<struct<field:string,dl:int>>")).alias("x"))
         return sizes.select("x.field", "key", "x.dl").filter("dl IS NOT NULL")
 
     def field_stats(self) -> DataFrame:
+        if "stats" in self.kept:
+            return self.kept["stats"]
         return self.lengths().groupBy("field").agg(F.avg("dl").alias("avgdl"), F.count(F.lit(1)).alias("docs"))
 
     def vocabulary(self) -> DataFrame:
+        if "vocabulary" in self.kept:
+            return self.kept["vocabulary"]
         return self.tokens.groupBy("field", "term").agg(F.count_distinct("key").alias("df"))
 
 
@@ -104,7 +121,7 @@ def build(df: DataFrame, key: str, fields: list[str] | None = None, analyzer: An
     """Index the named fields, or all that hold text."""
     found = tuple(f for f in (fields or string_fields(df.schema)) if f != key)
     documents = df.withColumn("key", F.col(key).cast("string"))
-    each = F.array(*(F.struct(F.lit(f).alias("field"), analyzer.tokens(text_of(documents, f)).alias("terms")) for f in found))
+    each = F.array(*(F.struct(F.lit(f).alias("field"), analyzer.tokens(text_of(documents, f)).alias("terms")) for f in found)).cast("array<struct<field:string,terms:array<string>>>")
     rows = documents.select("key", F.explode(each).alias("x")).select("key", "x.field", F.posexplode("x.terms").alias("pos", "term"))
     flat = documents.select("key", *(F.col(f).alias(f) for f in dict.fromkeys((*found, *numeric))))
     return Index(name, analyzer, found, numeric, flat, rows.select("field", "term", "key", "pos"))
@@ -198,11 +215,15 @@ class Search:
         times = F.create_map(*(x for t, n in weight.items() for x in (F.lit(t), F.lit(n))))
         return self._sum(scored.select("key", (F.col("score") * times[F.col("term")] * PHRASE_BOOST).alias("score")))
 
-    def _of_terms(self, name: str | None, cond: Column) -> DataFrame:
-        return self._sum(self._scored(self._tokens(name).filter(cond)))
+    def _of_terms(self, name: str | None, cond: Column, named: bool = False) -> DataFrame:
+        """Scores of the terms for which ``cond`` holds: named ones, or those of the vocabulary."""
+        tokens = self._tokens(name)
+        if named or "vocabulary" not in self.index.kept:
+            return self._sum(self._scored(tokens.filter(cond)))
+        return self._sum(self._scored(tokens.join(self.index.vocabulary().filter(cond).select("field", "term"), ["field", "term"], "left_semi")))
 
     def q_term(self, q: dict[str, Any]) -> DataFrame:
-        return self._of_terms(q.get("field"), F.col("term") == (q["term"] if "term" in q else q["value"]))
+        return self._of_terms(q.get("field"), F.col("term") == (q["term"] if "term" in q else q["value"]), named=True)
 
     def q_prefix(self, q: dict[str, Any]) -> DataFrame:
         return self._of_terms(q.get("field"), F.col("term").startswith(str(q["prefix"] if "prefix" in q else q["value"]).lower()))

@@ -73,17 +73,21 @@ def _incoming(batch: DataFrame) -> DataFrame:
     """The batch with all columns a mutation may carry."""
     have = set(batch.columns)
     extra = {"scope": F.lit("_default"), "collection": F.lit("_default"), "expiry": F.lit(None).cast("timestamp"), "flags": F.lit(0).cast("bigint"), "cas": F.lit(None).cast("bigint")}
-    return batch.select("key", "value", *((F.col(n) if n in have else c).alias(f"in_{n}") for n, c in extra.items())).withColumnRenamed("value", "in_value")
+    rows = batch.select("key", F.col("value").alias("in_value"), *((F.col(n) if n in have else c).alias(f"in_{n}") for n, c in extra.items()))
+    # of a key's several writes the last one counts, and each is a revision
+    last = rows.withColumn("_at", F.monotonically_increasing_id()).groupBy("key").agg(F.max_by(F.struct(*rows.columns[1:]), "_at").alias("_x"), F.count(F.lit(1)).alias("in_writes"))
+    return last.select("key", "_x.*", "in_writes")
 
 
 def upsert(state: DataFrame, batch: DataFrame, clock: Clock, max_ttl: int | None = None, partitions: int = PARTITIONS) -> DataFrame:
     """``batch``: key and value, and perhaps scope, collection, expiry and flags.  A key's
-    revision goes on after a tombstone, and the document lives again."""
+    revision goes on after a tombstone, and the document lives again.  Of a key that the batch
+    repeats, its last row in the batch's order is written."""
     n = F.monotonically_increasing_id() + F.lit(clock.first)
     expiry = F.coalesce("in_expiry", clock.time + F.make_interval(secs=F.lit(max_ttl))) if max_ttl else F.col("in_expiry")
     old = state.select("key", "rev_id", "created_at", "xattrs")
     rows = _incoming(batch).join(old, "key", "left").select(
-        "key", F.col("in_scope").alias("scope"), F.col("in_collection").alias("collection"), F.col("in_value").alias("value"), n.alias("cas"), n.alias("seq_no"), (F.coalesce("rev_id", F.lit(0)) + 1).alias("rev_id"), expiry.alias("expiry"), F.col("in_flags").alias("flags"),
+        "key", F.col("in_scope").alias("scope"), F.col("in_collection").alias("collection"), F.col("in_value").alias("value"), n.alias("cas"), n.alias("seq_no"), (F.coalesce("rev_id", F.lit(0)) + F.col("in_writes")).alias("rev_id"), expiry.alias("expiry"), F.col("in_flags").alias("flags"),
         F.coalesce("created_at", clock.time).alias("created_at"), clock.time.alias("updated_at"), F.lit(False).alias("deleted"), F.lit(None).alias("source_cluster"), vbucket(F.col("key"), partitions).alias("vbucket_id"), F.coalesce("xattrs", F.create_map().cast("map<string,string>")).alias("xattrs"), clock.time.alias("last_accessed"), F.lit(False).alias("evicted"),
     )
     return _merged(state, rows)
@@ -110,7 +114,7 @@ def replace(state: DataFrame, batch: DataFrame, clock: Clock) -> DataFrame:
 
 
 def _change(state: DataFrame, keys: DataFrame, clock: Clock, **columns: Column) -> DataFrame:
-    """Set columns of live documents; number and revision go on.  No shuffle of what is not touched."""
+    """Set columns of live documents; number and revision go on.  The state is joined with the keys: they are broadcast if few, else both are shuffled."""
     hit = state.join(keys.select("key").distinct().withColumn("_hit", F.lit(True)), "key", "left")
     on = F.coalesce("_hit", F.lit(False)) & ~F.col("deleted") & (F.col("expiry").isNull() | (clock.time <= F.col("expiry")))
     n = F.monotonically_increasing_id() + F.lit(clock.first)
@@ -180,16 +184,16 @@ def stats(state: DataFrame, by_vbucket: bool = False, now: Column | None = None)
     return rows.groupBy("vbucket_id").agg(*aggs) if by_vbucket else rows.agg(*aggs)
 
 
-def evict(sizes: DataFrame, free: int, order: list[Column], buckets: int = 4096) -> DataFrame:
+def evict(sizes: DataFrame, free: int, order: list[Column], buckets: int = 64) -> DataFrame:
     """Rows of ``sizes`` (with ``bytes``) to evict: oldest first until ``free`` bytes are freed.
 
-    The order is cut by ranges first: sums of some thousand ranges show in which of them the
-    limit falls, and only that one is summed row by row.
+    The order is cut into ranges, whose sums show where each begins; ranges that begin beyond
+    the limit are left out, and the others are summed row by row, each in a task of its own.
     """
     ranged = sizes.select("*", F.struct(*order).alias("_o"))
-    parts = ranged.repartitionByRange(min(buckets, 64), "_o").withColumn("_p", F.spark_partition_id())
+    parts = ranged.repartitionByRange(buckets, "_o").withColumn("_p", F.spark_partition_id())
     upto = parts.groupBy("_p").agg(F.sum("bytes").alias("_b")).withColumn("_before", F.sum("_b").over(Window.orderBy("_p")) - F.col("_b"))
-    placed = parts.join(F.broadcast(upto), "_p")
+    placed = parts.join(F.broadcast(upto.filter(F.col("_before") < free)), "_p")
     run = F.sum("bytes").over(Window.partitionBy("_p").orderBy("_o")) + F.col("_before") - F.col("bytes")
     return placed.withColumn("freed_before", run).filter(F.col("freed_before") < free).drop("_o", "_p", "_b", "_before")
 

@@ -305,9 +305,12 @@ class Lowering:
             made.append(self.aggregate(a, scope).alias(name))
         keys = {default_name(g): self.col(g, scope) for g in q.group}
         firsts, shown = [], []
+        # one document of a group speaks for it: the first by key, whatever the partitions
+        known = [meta_name(a, "_key") for a in scope.aliases if meta_name(a, "_key") in scope.df.columns]
+        first = (lambda c: F.min_by(c, F.struct(*(F.col(k) for k in known)))) if known else F.first
         for i, item in enumerate(q.items):
             if item.expr is None:
-                firsts += [F.first(F.col(f"`{a}`")).alias(f"__first{a}") for a in scope.aliases]
+                firsts += [first(F.col(f"`{a}`")).alias(f"__first{a}") for a in scope.aliases]
                 shown += [(a, F.col(f"`__first{a}`")) for a in scope.aliases]
                 continue
             name = item.alias or default_name(item.expr)
@@ -315,7 +318,7 @@ class Lowering:
                 if item.expr in q.group:
                     shown.append((name, F.col(f"`{default_name(item.expr)}`")))
                 else:  # the value of some document of the group
-                    firsts.append(F.first(self.col(item.expr, scope)).alias(f"__first{i}"))
+                    firsts.append(first(self.col(item.expr, scope)).alias(f"__first{i}"))
                     shown.append((name, F.col(f"__first{i}")))
             else:
                 shown.append((name, item.expr))

@@ -8,7 +8,6 @@ new DataFrame; ``settle`` writes it to the shared folder once plans get long.
 from __future__ import annotations
 
 import datetime as dt
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -20,6 +19,8 @@ from ..errors import Conflict, NotFound
 from ..operators import indexes, kv, subdoc
 from ..plans import lowering
 from ..plans import syntax as S
+from ..streaming import changes
+from .settled import settle
 
 #: Mutations of a table bucket after which its state is written out; those of document
 #: buckets number their rows, so each is written out at once and stays as it is.
@@ -28,7 +29,7 @@ SETTLE_AFTER = 8
 
 @dataclass
 class Config:
-    kind: str = "couchbase"
+    kind: str = "persistent"
     ram_quota_mb: int = 256
     replicas: int = 1
     vbuckets: int = kv.PARTITIONS
@@ -58,6 +59,8 @@ class Catalog:
         self.spark = spark
         self.buckets: dict[str, Bucket] = {}
         self.indexes: dict[tuple[str, str], indexes.Definition] = {}
+        #: folders to which a bucket's changes are published
+        self.watched: dict[str, str] = {}
 
     # -- buckets
 
@@ -106,10 +109,13 @@ class Catalog:
 
     def replace(self, name: str, frame: DataFrame, numbers: int = 1 << 40) -> None:
         b = self.get(name)
+        first = b.seq
         b.frame, b.version, b.schema = frame, b.version + 1, None
         b.seq += numbers
         if b.mode == "document" or b.version % SETTLE_AFTER == 0:
             b.frame = settle(frame)
+        if name in self.watched and b.mode == "document":
+            changes.publish(changes.events_of(b.frame.filter(F.col("seq_no") >= first), name, F.lit(b.now).cast("timestamp") if b.now else None), self.watched[name])
         for (owner, _), d in self.indexes.items():
             if owner == name:
                 d.data = self._materialise(d)
@@ -207,11 +213,3 @@ class Catalog:
         keys = df.select(F.col(lowering.meta_name(alias, "_key")).alias("_key")).distinct()
         return self.rows(q.source.bucket, q.source.scope, q.source.collection).join(keys, "_key", "left_semi")
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write to the shared folder in spark.checkpoint.dir and read again; lineage ends there."""
-    spark = df.sparkSession
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "-scratch"
-    path = f"{top.rstrip('/')}/brindle-state-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
