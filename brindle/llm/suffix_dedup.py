@@ -12,11 +12,14 @@ all places of a string meet in the group of one anchor.  Texts that occur in ful
 than once are represented by one of them.  In a group, window hashes leave the stretches
 that may repeat; equal stretches settle each other, and where stretches differ a suffix
 array of them decides: starts whose neighbours in it share ``length`` bytes are repeats.
-Groups of over ``HOT`` places are not gathered in one task: their windows are counted by
-hash, as rows.
+Groups of over ``HOT`` places (12 MB of stretches) are not gathered in one task: their windows are
+counted as rows, by the anchor's hash and one of their own, 128 bits together; there, equal
+hashes stand for equal bytes.
 
 Null and empty texts have nothing to remove.  Texts shorter than ``length`` neither lose
-nor cause anything.  Repeated rows are repeats, ids play no part in that.
+nor cause anything; very long ones are taken whole, in pieces that overlap.  Repeated rows are
+repeats, ids play no part in that and may be null or of any type.  Of a string that ties with others every place
+is removed, the first included.  Other columns are never read.  An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._session import arrow, cut
+from ._session import BROADCAST_IDS, arrow, cut, free
 from ._text import mix, utf8
 
 LENGTH, GRAM = 400, 200
@@ -269,9 +272,14 @@ def _settle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for sig, lo, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            w = rolling(np.frombuffer(part, np.uint8), LENGTH).view(np.int64)
-            yield pa.record_batch([pa.array(w), pa.array([sig] * len(w), pa.binary()), pa.array(np.arange(lo, lo + len(w)))], names=["w", "sig", "a"])
+        h, sigs, starts, parts = (batch.column(i).to_pylist() for i in range(4))
+        for k in range(0, len(h), 64):
+            some = range(k, min(len(h), k + 64))
+            w = [rolling(np.frombuffer(parts[i], np.uint8), LENGTH).view(np.int64) for i in some]
+            n = [len(x) for x in w]
+            sig = [sigs[i] for i, c in zip(some, n, strict=True) for _ in range(c)]
+            at = np.concatenate([np.arange(starts[i], starts[i] + c) for i, c in zip(some, n, strict=True)])
+            yield pa.record_batch([pa.array(np.repeat(np.array(h[k : k + 64], np.int64), n)), pa.array(np.concatenate(w)), pa.array(sig, pa.binary()), pa.array(at)], names=["h", "w", "sig", "a"])
 
 
 def _remove_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,15 +318,20 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     found = wanted.join(long_docs, F.col("rep").eqNullSafe(F.col("id")) & (F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("sig")))
     # repeated ids may bring a text more than once; spans are merged in the end
     held = cut(found.select("sig", "text", "places"))
+    free(places)
     stretches = cut(arrow(held, _stretch_rows, "h long, hot boolean, sig binary, lo long, part binary"))
     gathered = stretches.filter("NOT hot").select("h", "sig", "lo", "part").repartition("h").sortWithinPartitions("h")
     spans = arrow(gathered, _settle_rows, "sig binary, a long, b long")
-    hot = stretches.filter("hot").select("sig", "lo", "part")
+    hot = stretches.filter("hot").select("h", "sig", "lo", "part")
     if not hot.isEmpty():
-        windows = arrow(hot, _window_rows, "w long, sig binary, a long")
-        who = F.struct("sig", "a")
-        twice = windows.groupBy("w").agg(F.min(who).alias("x"), F.max(who).alias("y")).filter("x <> y").select("w")
-        spans = spans.union(windows.join(twice, "w").select("sig", "a", (F.col("a") + LENGTH).alias("b")).distinct())
+        windows = arrow(hot, _window_rows, "h long, w long, sig binary, a long")
+        # a place as one number, so that sums of a very frequent window are made before the shuffle
+        who = F.xxhash64("sig", "a")
+        twice = cut(windows.groupBy("h", "w").agg(F.min(who).alias("x"), F.max(who).alias("y")).filter("x <> y").select("h", "w"))
+        # few strings repeat very often; beyond that, written as they are, a frequent one is a skewed key of a plain join
+        few = twice.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+        found = windows.join(F.broadcast(twice) if few else twice, ["h", "w"])
+        spans = spans.union(found.select("sig", "a", (F.col("a") + LENGTH).alias("b")).distinct())
     by_text = spans.groupBy("sig").agg(F.collect_set(F.struct("a", "b")).alias("spans"))
     one = held.dropDuplicates(["sig"]).select("sig", "text")
     results = arrow(one.join(by_text, "sig").select("sig", "text", "spans"), _remove_rows, "sig binary, n_removed long, n_spans long, kept string")
