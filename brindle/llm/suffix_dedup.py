@@ -312,13 +312,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     marked = long_docs.select(F.unhex(F.md5(F.col("text").cast("binary"))).alias("sig"), "text")
     places = cut(arrow(marked, _anchor_rows, "h long, sig binary, pos long"))
     where = F.struct("sig", "pos")
-    shared = places.groupBy("h").agg(F.min(where).alias("x"), F.max(where).alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y").select("h", (F.col("c") > HOT).alias("hot"))
+    # written, so that an anchor of very many places is a skewed key of a plain join
+    shared = cut(places.groupBy("h").agg(F.min(where).alias("x"), F.max(where).alias("y"), F.count(F.lit(1)).alias("c")).filter("x <> y").select("h", (F.col("c") > HOT).alias("hot")))
     wanted = places.join(shared, "h").groupBy("sig").agg(F.collect_set(F.struct("pos", "h", "hot")).alias("places"))
     wanted = wanted.join(texts.select("sig", "rep"), "sig")
     found = wanted.join(long_docs, F.col("rep").eqNullSafe(F.col("id")) & (F.unhex(F.md5(F.col("text").cast("binary"))) == F.col("sig")))
     # repeated ids may bring a text more than once; spans are merged in the end
     held = cut(found.select("sig", "text", "places"))
-    free(places)
+    free(places, shared)
     stretches = cut(arrow(held, _stretch_rows, "h long, hot boolean, sig binary, lo long, part binary"))
     gathered = stretches.filter("NOT hot").select("h", "sig", "lo", "part").repartition("h").sortWithinPartitions("h")
     spans = arrow(gathered, _settle_rows, "sig binary, a long, b long")
