@@ -7,13 +7,15 @@ of over ``SCAN_LIMIT`` parts use the same arrays as a linked list with a heap, a
 repeated scans would be quadratic.  Encoded words are kept in a bounded cache.
 
 Null texts count as empty; an empty text has no tokens.  Very long texts are encoded
-whole, piece by piece.  Ties take the leftmost pair.
+whole, piece by piece.  Ties take the leftmost pair.  Spark's batches are worked through in
+parts, so that a worker holds the ids of a few texts at a time.
 """
 
 from __future__ import annotations
 
 import hashlib
 import heapq
+import itertools
 import json
 import re
 from collections.abc import Iterator
@@ -21,6 +23,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._session import arrow, id_type
@@ -28,8 +31,11 @@ from ._session import arrow, id_type
 #: Parts up to which a word's ranks are scanned.
 SCAN_LIMIT = 96
 #: Words whose encoding a worker keeps, twice at most: when the young words reach this
-#: number they become the old ones, and old words that come again become young.
+#: number they become the old ones, and old words that come again become young.  They go
+#: when a partition ends, as idle workers stay beside the stages that follow.
 CACHE = 300_000
+#: Bytes of text whose results a worker holds at once, besides those of one more text.
+PART = 1 << 19
 NONE = 1 << 60
 SHIFT = 20
 MASK = (1 << SHIFT) - 1
@@ -169,12 +175,25 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def _parts(batches: Iterator[pa.RecordBatch], own: Codec) -> Iterator[pa.RecordBatch]:
+    """The same rows in order, in batches of about ``PART`` bytes of text (the second column).
+    Words that ``own`` keeps go at the end."""
+    try:
+        for batch in batches:
+            size = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
+            turn = np.flatnonzero(np.diff(np.cumsum(size, dtype=np.int64) // PART)) + 1
+            for lo, hi in itertools.pairwise([0, *turn.tolist(), len(batch)]):
+                yield batch.slice(lo, hi - lo)
+    finally:
+        own.young, own.old = {}, {}
+
+
 def encode_documents(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: its ids (array<int>).  ``vocabulary`` is a path every executor can read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in batches:
+        for batch in _parts(batches, own):
             ids = [own.encode(t or "") for t in batch.column(1).to_pylist()]
             yield pa.record_batch([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=[id_col, "ids"])
 
@@ -187,7 +206,7 @@ def digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(vocabulary)
-        for batch in batches:
+        for batch in _parts(batches, own):
             count, of_ids, of_text, all_ids = [], [], [], []
             for text in batch.column(1).to_pylist():
                 ids = own.ids(text or "")

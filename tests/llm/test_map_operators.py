@@ -5,6 +5,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -12,6 +13,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from tokenizers import Tokenizer
 
 from brindle.llm import bpe, langid, media, quality, toxicity, url_filter
@@ -225,3 +227,33 @@ def test_bpe_documents(odd, odd_rows, nothing):
     assert sorted((r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in got) == sorted(want)
     assert bpe.digest(nothing, PATH).count() == 0
     assert {len(r["ids"]) for r in bpe.encode_documents(odd, PATH).collect()} == {w[0] for w in want}
+
+
+def test_bpe_holds_the_ids_of_a_few_texts(monkeypatch):
+    monkeypatch.setattr(bpe, "arrow", lambda df, run, schema: run)
+    rng = random.Random(3)
+    words = ["w" + str(i) for i in range(3000)]
+    texts = [None, ""] + [" ".join(rng.choices(words, k=400)) for _ in range(3000)] + ["", None]
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(texts)], names=["doc_id", "text"])
+
+    class Docs:
+        schema = StructType().add("doc_id", "long").add("text", "string")
+
+        def select(self, *names):
+            return self
+
+    tk = Tokenizer.from_file(PATH)
+    for run in (bpe.digest(Docs(), PATH, with_ids=True), bpe.encode_documents(Docs(), PATH)):
+        for _ in run(iter([batch.slice(0, 50)])):  # loads the vocabulary
+            pass
+        tracemalloc.start()
+        at, got = 0, {}
+        for out in run(iter([batch])):
+            assert out.column(0).to_pylist() == list(range(at, at + len(out)))
+            if at == 0 or at + len(out) == len(texts):
+                got |= zip(out.column(0).to_pylist(), out.column("ids").to_pylist(), strict=True)
+            at += len(out)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert at == len(texts) and all(ids == tk.encode(texts[i] or "", add_special_tokens=False).ids for i, ids in got.items())
+        assert peak < 32 << 20  # the whole batch's ids, digests and texts at once take over 100 MB
